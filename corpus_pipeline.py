@@ -1,0 +1,10 @@
+"""The corpus pipeline."""
+
+from __future__ import annotations
+
+STAGES = []
+ORACLE_SQL = None
+
+
+def run(spark, sf_dir):
+    raise NotImplementedError
